@@ -20,4 +20,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.gif import features, store
+
+    return features(store(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op4_gif_frames"] = op4_gif_frames
 QUERIES["op3_best_fit_packing"] = op3_best_fit_packing
