@@ -28,3 +28,13 @@ def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_gif_frames"] = op4_gif_frames
 QUERIES["op3_best_fit_packing"] = op3_best_fit_packing
+
+
+def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.pii import personal_data, span_text
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", span_text())
+
+
+QUERIES["op7_crf_pii"] = op7_crf_pii
