@@ -38,3 +38,29 @@ def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_crf_pii"] = op7_crf_pii
+
+
+def op9_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.common import crc_mod
+    from weft.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    found = identify(docs, fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES["op9_language_centroids"] = op9_language_centroids
+
+
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.common import crc_mod
+    from weft.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    found = scored(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES["op1_counterfactual_toxicity"] = op1_counterfactual_toxicity
