@@ -17,6 +17,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,11 +36,15 @@ REJECT = 0.005
 UND = "und"
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
 def gram_counts(text: str | None) -> np.ndarray | None:
-    """Counts of hashed n-grams of the lower-cased text between blanks, or None without a letter."""
-    if not text or not any(map(str.isalpha, text)):
+    """Counts of hashed n-grams of the lower-cased words, all but letters blanked out, or None without a letter."""
+    words = _OTHER.sub(" ", text.lower()).strip(" ") if text else ""
+    if not words:
         return None
-    raw = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    raw = np.frombuffer(f" {words} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
     counts = np.zeros(BUCKETS, dtype=np.int64)
     key = raw[:-1] << 8 | raw[1:]
     for more in (raw[2:], raw[3:]):
