@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm import secrets
 from weft.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,13 @@ def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_counterfactual_toxicity"] = op1_counterfactual_toxicity
+
+
+def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.secrets import digests, secrets
+
+    return digests(secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op10_entropy_secrets"] = op10_entropy_secrets
+ORACLES["op10_entropy_secrets"] = secrets.ORACLE
