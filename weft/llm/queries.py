@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import secrets
+from weft.llm import mixing, secrets
 from weft.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,11 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_entropy_secrets"] = op10_entropy_secrets
 ORACLES["op10_entropy_secrets"] = secrets.ORACLE
+
+
+def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_raked_mixing"] = op5_raked_mixing
+ORACLES["op5_raked_mixing"] = mixing.ORACLE
