@@ -83,3 +83,12 @@ def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_raked_mixing"] = op5_raked_mixing
 ORACLES["op5_raked_mixing"] = mixing.ORACLE
+
+
+def op6_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op6_line_chunk_dedup"] = op6_line_chunk_dedup
