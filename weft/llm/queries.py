@@ -92,3 +92,12 @@ def op6_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_line_chunk_dedup"] = op6_line_chunk_dedup
+
+
+def op2_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+QUERIES["op2_lsh_forest_dedup"] = op2_lsh_forest_dedup
