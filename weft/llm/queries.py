@@ -101,3 +101,14 @@ def op2_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_lsh_forest_dedup"] = op2_lsh_forest_dedup
+
+
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from weft.llm.multiindex import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op8_inverted_multi_index"] = op8_inverted_multi_index
