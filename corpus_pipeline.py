@@ -25,7 +25,7 @@ from weft.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    learnt = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), common.crc_mod("doc_id", 4) != 2)
+    learnt = toxicity.fit(docs, table(spark, sf_dir, "labels"), common.crc_mod("doc_id", 4) != 2)
     return toxicity.clean(docs, learnt)
 
 
