@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,20 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars_total"))
 
 
+#: Modules of this package that hold queries.
+MODULES = ("text", "statistics", "dedup", "vectors", "catalog", "conversation", "events", "relational", "kernels")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"weft.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
