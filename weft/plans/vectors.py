@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.functions import vectors as V
+from weft.operators import vectorstore
+from weft.plans.registry import query
+from weft.session import table
+
+_D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+_NORM = f"sqrt(list_sum(list_transform({_D}, lambda x: x * x)))"
+
+
+@query("vector_norms", f"SELECT vec_id, round({_NORM}, 6) AS norm FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("vector_normalized_sum", f"SELECT vec_id, round(list_sum(list_transform({_D}, lambda x: x / (n + 1e-9))), 6) AS s FROM (SELECT *, {_NORM} AS n FROM embeddings)")
+def vector_normalized_sum(spark, sf_dir):
+    unit = V.normalized(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
+
+
+_TOPK = f"""WITH v AS (SELECT vec_id, list_transform({_D}, lambda x: x / (n + 1e-9)) AS u FROM (SELECT *, {_NORM} AS n FROM embeddings)),
+    q AS (SELECT label AS query_id, u AS q FROM v JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) USING (vec_id)),
+    s AS (SELECT query_id, vec_id, list_dot_product(q, u) AS score FROM q, v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query("vector_topk", _TOPK)
+def vector_topk(spark, sf_dir):
+    """The five nearest of each label's first vector, over all vectors."""
+    store = table(spark, sf_dir, "embeddings")
+    firsts = store.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query")).select(F.col("label").alias("query_id"), "query")
+    return vectorstore.search(store, firsts).withColumn("score", F.round("score", 6))
+
+
+@query("vector_union_add", "SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids FROM (SELECT vec_id, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings) GROUP BY label")
+def vector_union_add(spark, sf_dir):
+    store = table(spark, sf_dir, "embeddings")
+    both = vectorstore.add(store, store.withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
+
+
+@query("cross_entropy", "SELECT vec_id, round(log(list_sum(list_transform(e, lambda x: exp(x - m)))) - (e[t + 1] - m), 6) AS loss FROM (SELECT vec_id, label AS t, e, list_max(e) AS m FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))".replace("log(list_sum", "ln(list_sum"))
+def cross_entropy(spark, sf_dir):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.cross_entropy(logits, F.col("label")), 6).alias("loss"))
+
+
+@query("perplexity", "SELECT label, round(exp(avg(loss)), 4) AS perplexity, count(*) AS n FROM (SELECT label, ln(list_sum(list_transform(e, lambda x: exp(x - m)))) - (e[label + 1] - m) AS loss FROM (SELECT label, e, list_max(e) AS m FROM (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))) GROUP BY label")
+def perplexity(spark, sf_dir):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    losses = table(spark, sf_dir, "embeddings").select("label", V.cross_entropy(logits, F.col("label")).alias("loss"))
+    return losses.groupBy("label").agg(F.round(F.exp(F.avg("loss")), 4).alias("perplexity"), F.count("*").alias("n"))
