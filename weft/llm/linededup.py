@@ -174,7 +174,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     drop_emptied: leave out documents of which nothing but blanks is left, unless nothing was taken.
     """
     small_batches(docs.sparkSession)
-    held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct("*").alias("doc"))
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc")
+    held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest)
     held = held.withColumn("key", _key())
     ranges = removals(held.select("key", "doc_id", "text"))
     lines = F.split("text", "\n", -1)
