@@ -122,7 +122,8 @@ def chunks_of(lines: list[tuple[int, int, int, int]]) -> set[tuple[int, int, int
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
-    counts = lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    # cut, so that the join has its own exchange on either side and can split a very common line
+    counts = cut(lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     repeated = lines.join(counts, "hash").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("at", "hash", "words", "n"))).alias("lines"))
     schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())])
 
@@ -161,7 +162,7 @@ def _confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """Per document that loses lines: key, and the ranges (at, lines) to take out. docs: key, doc_id and text."""
     chunks = cut(_chunks(_lines(docs)))
-    first = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first")).where("n > 1")
+    first = cut(chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first")).where("n > 1"))
     found = cut(chunks.join(first.select("chunk", "first"), "chunk"))
     away = found.where(~(F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.at") == F.col("at"))))
     sure = away.join(_confirmed(docs, found), "chunk")
