@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     classes = cut(by_class.drop("more"))
 
     regions = _regions(classes)
-    shared = regions.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    # cut, so that the join has its own exchange on either side and can split a very large region
+    shared = cut(regions.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"))
     members = cut(regions.join(shared, "region"))
     pairs = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     links = _confirmed(_alike(pairs, classes, percent), classes, docs, size, percent)
@@ -251,6 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     deep = cut(_deeper(spread.join(classes.select("node", "sig"), "node")))
     who = F.struct("turn", "node", "component")
     stars = deep.groupBy("region").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("region", "lo", "hi")
+    stars = cut(stars)
     met = deep.join(stars, "region")
     found = None
     for end in ("lo", "hi"):
