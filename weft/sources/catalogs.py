@@ -29,7 +29,7 @@ def import_settings(spark: SparkSession, path: str) -> DataFrame:
 def export_settings(settings: DataFrame, path: str) -> None:
     """(category, key, value) as one line of nested JSON. Settings fit on one line by their nature."""
     inner = settings.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m"))
-    whole = inner.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "m"))))).alias("value"))
+    whole = inner.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "m")))).alias("value"))
     whole.coalesce(1).write.mode("overwrite").text(path)
 
 
