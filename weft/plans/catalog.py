@@ -185,3 +185,56 @@ def taught_platforms(spark, sf_dir):
     q = F.col("q")
     kind = F.when(F.contains(q, F.lit("search")), "search").when(F.contains(q, F.lit("play")), "play")
     return phrases(spark).select("id", kind.alias("command_type"), F.nullif(F.regexp_extract(q, r"how to (?:search|play) on (.+?)(?:\s|$)", 1), F.lit("")).alias("platform"))
+
+
+@query("intent_counts", f"SELECT {_sql_case(_INTENT)} AS intent, count(*) AS n FROM (SELECT lower(p_type) AS x FROM part) GROUP BY ALL")
+def intent_counts(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(C.intent(F.col("p_type")).alias("intent")).agg(F.count("*").alias("n"))
+
+
+@query("distinct_platforms", f"SELECT DISTINCT platform FROM {_LEARNED} WHERE command_type = 'search'")
+def distinct_platforms(spark, sf_dir):
+    return C.create(spark, "learned_commands").where("command_type = 'search'").select("platform").distinct()
+
+
+@query("patterns_of_type", f"SELECT pattern, arg_max(platform, lid) AS platform, arg_max(url_template, lid) AS url_template FROM {_LEARNED} WHERE command_type = 'play' GROUP BY pattern")
+def patterns_of_type(spark, sf_dir):
+    return C.patterns(C.create(spark, "learned_commands"), "play")
+
+
+@query("request_handlers", f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN {_DIRECT} THEN 'direct' WHEN {_sql_case(_KIND, _q('question'))} = 'command' THEN 'command' ELSE 'question' END AS handler FROM (SELECT id, lower(q) AS q FROM {phrases_sql()})")
+def request_handlers(spark, sf_dir):
+    return C.resolve(phrases(spark), table(spark, sf_dir, "part"), "id", "q", "p_name", "p_type")
+
+
+@query("contact_lookup")
+def contact_lookup(spark, sf_dir):
+    contacts = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("Phone"))
+    asked = spark.createDataFrame([(1, "call Customer#000000007"), (2, "send message to 00000012"), (3, "phone nobody")], "id long, q string")
+    return C.find_contact(asked, contacts, "id", "q")
+
+
+@query("learned_phrases")
+def learned_phrases(spark, sf_dir):
+    return C.learned_from(phrases(spark), "id", "q")
+
+
+@query("word_log_probability", "SELECT p_brand, round(ln(c / (t + 1e-9)), 6) AS logp FROM (SELECT p_brand, count(*) AS c, sum(count(*)) OVER () AS t FROM part GROUP BY p_brand)")
+def word_log_probability(spark, sf_dir):
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return counts.select("p_brand", F.round(F.log(F.col("c") / (F.lit(float(total)) + 1e-9)), 6).alias("logp"))
+
+
+@query("dictionary_size", "SELECT max(len(string_split(replace(p_type, ' ', '_'), '_'))) AS longest, count(DISTINCT p_type) AS words FROM part")
+def dictionary_size(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.regexp_replace("p_type", " ", "_").alias("w")).distinct()
+    return words.agg(F.max(F.size(F.split("w", "_"))).cast("long").alias("longest"), F.count("*").alias("words"))
+
+
+@query("ids_to_tokens", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN p_size <= 40 THEN p_brand END, '') AS token FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def ids_to_tokens(spark, sf_dir):
+    """Ids looked up in a vocabulary, those that it lacks as the empty token."""
+    vocab = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("token"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(vocab, "l_partkey", "left")
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce("token", F.lit("")).alias("token"))
