@@ -7,8 +7,8 @@ labels in a tree share their first ``DEPTH`` values are in one region of it.
 First, in each region all are compared with its least member, which joins large groups
 of copies by few links. Where a region still holds several groups, the forest goes
 deeper: at each of ``DEEPER`` lengths, the classes with the same longer prefix are
-compared with the first and last of them in an order of the tree's own, until prefixes
-part the groups. So dense regions are searched as deep as they need, neighbours with the
+compared with the first and last of them in an order of the tree's own, and with the
+first ``LEADERS`` of each other group there, until prefixes part the groups. So dense regions are searched as deep as they need, neighbours with the
 longest common prefix meet last and for certain, and the pairs of a group are never all
 listed. A pair at the threshold shares a region of some tree but for odds below 1 in a
 million, and no candidate is dropped for their number.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut, per_batch, small_batches
@@ -41,6 +41,8 @@ VALUES = 128
 TREES = 36
 DEPTH = 5
 DEEPER = (5, 6, 8, 10, 13, 17, 24)
+#: Members of a group that meet the others in a region.
+LEADERS = 16
 #: Equal values of two signatures that candidates have at least: six deviations below what a pair at 0.8 has.
 LEAST_EQUAL = 74
 #: Ids that may be broadcast, 8 bytes each.
@@ -167,6 +169,19 @@ def _deeper(members: DataFrame) -> DataFrame:
     return members.select("tree", "node", "component", "sig").mapInArrow(read, "region long, node long, component long, turn long")
 
 
+def _leaders_met(deep: DataFrame) -> DataFrame:
+    """Pairs of the first ``LEADERS`` classes of each group in a region with the classes there that are not of the group.
+
+    They tie those to a group that only few of its members are similar to. Classes that
+    are alone of their group in a region lead none.
+    """
+    own = Window.partitionBy("region", "component")
+    firsts = deep.withColumn("place", F.row_number().over(own.orderBy("turn", "node"))).where(F.col("place") <= LEADERS)
+    leaders = firsts.withColumn("n", F.count("*").over(own)).where("n > 1").select("region", F.col("node").alias("lead"), F.col("component").alias("of"))
+    met = deep.join(cut(leaders), "region").where(F.col("component") != F.col("of"))
+    return met.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the tests of sizes and signatures."""
     side = classes.select("node", "n", "sig")
@@ -254,10 +269,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     stars = deep.groupBy("region").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("region", "lo", "hi")
     stars = cut(stars)
     met = deep.join(stars, "region")
-    found = None
+    found = _leaders_met(deep.join(stars.select("region"), "region", "left_semi"))
     for end in ("lo", "hi"):
         one = met.where(F.col(f"{end}.component") != F.col("component")).select(F.least("node", f"{end}.node").alias("u"), F.greatest("node", f"{end}.node").alias("v"))
-        found = one if found is None else found.union(one)
+        found = found.union(one)
     fresh = found.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
     more = _confirmed(_alike(fresh, classes, percent), classes, docs, size, percent)
     if not more.isEmpty():
