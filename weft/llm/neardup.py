@@ -66,7 +66,7 @@ class _Words(dict):
         import xxhash
 
         got = xxhash.xxh64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 60_000:
             self[word] = got
         return got
 
@@ -223,7 +223,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         def of(node: int, text: str) -> np.ndarray:
             if (got := lately.get(node)) is None:
                 got = lately[node] = shingle_set(text, size)
-                if len(lately) > 64:
+                if len(lately) > 16:
                     lately.popitem(last=False)
             else:
                 lately.move_to_end(node)
