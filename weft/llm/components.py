@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import written
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     grows with the logarithm of the graph. Least neighbours are found with map-side sums,
     and joins go by node, so that a node with very many links can be split.
     """
-    now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        now = written(_small_star(_large_star(now).distinct()).distinct())
         before, mark = mark, _mark(now)
         if before == mark:
             break
