@@ -30,6 +30,7 @@ def test_languages(spark, odd_rows):
         assert (got[1000 + k]["lang_pred"] == "und") == und
     assert got[1008]["rejected"] or got[1008]["score"] >= 0
     assert langid.identify(frame(spark, []), model).count() == 0
+    assert model.predict(["² ① Ⅷ 12", "_", "é"])[0][:2] == ["und", "und"] and model.predict(["é"])[0] != ["und"]
     blank = langid.fit(frame(spark, []), ~held)
     assert [r["lang_pred"] for r in langid.identify(frame(spark, [(1, "words")]), blank).collect()] == ["und"]
 

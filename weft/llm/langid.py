@@ -42,7 +42,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed n-grams of the lower-cased words, all but letters blanked out, or None without a letter."""
     words = _OTHER.sub(" ", text.lower()).strip(" ") if text else ""
-    if not words:
+    if not any(map(str.isalpha, words)):  # numbers such as ² or ① may be left
         return None
     raw = np.frombuffer(f" {words} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
     counts = np.zeros(BUCKETS, dtype=np.int64)
