@@ -38,10 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or "/tmp/weft-checkpoints")
 
 
+#: Files of a table that is cut, for each core of the cluster.
+FILES_PER_CORE = 4
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the frame to the shared checkpoint folder and goes on from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """As ``written``, in no more files than the cluster's cores can use, however many partitions the frame has."""
+    return written(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import per_batch, small_batches, written
+from weft.llm.common import cut, per_batch, small_batches, written
 from weft.llm.components import components
 
 VALUES = 128
@@ -178,7 +178,7 @@ def _leaders_met(deep: DataFrame) -> DataFrame:
     own = Window.partitionBy("region", "component")
     firsts = deep.withColumn("place", F.row_number().over(own.orderBy("turn", "node"))).where(F.col("place") <= LEADERS)
     leaders = firsts.withColumn("n", F.count("*").over(own)).where("n > 1").select("region", F.col("node").alias("lead"), F.col("component").alias("of"))
-    met = deep.join(written(leaders), "region").where(F.col("component") != F.col("of"))
+    met = deep.join(cut(leaders), "region").where(F.col("component") != F.col("of"))
     return met.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
 
@@ -207,12 +207,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets are as similar as asked for."""
-    pairs = written(pairs)
+    pairs = cut(pairs)
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = written(nodes.join(classes.select("node", F.col("key")), "node"))
+    wanted = cut(nodes.join(classes.select("node", F.col("key")), "node"))
     few = wanted.count() <= MOST_BROADCAST
     texts = docs.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key").select("node", "text").dropDuplicates(["node"])
-    texts = written(texts)
+    texts = cut(texts)
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
     both = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -235,7 +235,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             if found:
                 yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=schema)
 
-    return written(both.mapInArrow(read, "u long, v long"))
+    return cut(both.mapInArrow(read, "u long, v long"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -250,12 +250,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     docs = keyed(docs)
     rows = written(_signatures(docs, size))
     by_class = rows.where("n > 0").groupBy("node", "more").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = written(by_class.drop("more"))
+    classes = cut(by_class.drop("more"))
 
     regions = _regions(classes)
-    # written, so that the join has its own exchange on either side and can split a very large region
-    shared = written(regions.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"))
-    members = written(regions.join(shared, "region"))
+    # cut, so that the join has its own exchange on either side and can split a very large region
+    shared = cut(regions.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"))
+    members = cut(regions.join(shared, "region"))
     pairs = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     links = _confirmed(_alike(pairs, classes, percent), classes, docs, size, percent)
     groups = components(links)
@@ -264,10 +264,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     open_members = open_members.withColumn("component", F.coalesce("component", "node"))
     several = open_members.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
     spread = open_members.join(several, "region", "left_semi").select("tree", "node", "component")
-    deep = written(_deeper(spread.join(classes.select("node", "sig"), "node")))
+    deep = cut(_deeper(spread.join(classes.select("node", "sig"), "node")))
     who = F.struct("turn", "node", "component")
     stars = deep.groupBy("region").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("region", "lo", "hi")
-    stars = written(stars)
+    stars = cut(stars)
     met = deep.join(stars, "region")
     found = _leaders_met(deep.join(stars.select("region"), "region", "left_semi"))
     for end in ("lo", "hi"):
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, less those that aren't the first of their group."""
-    found = written(near_duplicates(docs, size, percent).where(~F.col("kept")).select("key").distinct())
+    found = cut(near_duplicates(docs, size, percent).where(~F.col("kept")).select("key").distinct())
     away = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     held = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).alias("key"))
     return held.join(away, "key", "left_anti").select("doc.*")
