@@ -76,3 +76,60 @@ def test_other_bytes_under_one_hash_stay(spark, monkeypatch):
     found = held.select(linededup.F.lit(7).cast("long").alias("chunk"), "key", "doc_id", linededup.F.lit(0).alias("at"), linededup.F.lit(1).alias("lines"))
     assert linededup._confirmed(held, found).count() == 0
     assert len(PASSAGE.split()) >= LEAST_WORDS
+
+
+def line_of(seed, words=10):
+    return prose(seed, words, 1000).replace("\n", " ")
+
+
+def search(texts):
+    """Independent of windows and hashes: every line that is part of a sequence of lines, of 40 words or more, that stands earlier too."""
+    gone = {}
+    places = [(d, k) for d, t in texts for k in range(len(t))]
+    held = dict(texts)
+    for p, (d, i) in enumerate(places):
+        for e, j in places[:p]:
+            n = 0
+            while i + n < len(held[d]) and j + n < len(held[e]) and held[d][i + n] == held[e][j + n] and (d != e or j + n < i):
+                n += 1
+            while n and not held[d][i + n - 1].split():
+                n -= 1
+            if held[d][i].split() and sum(len(x.split()) for x in held[d][i : i + n]) >= LEAST_WORDS:
+                gone.setdefault(d, set()).update(range(i, i + n))
+    return gone
+
+
+def test_passages_go_whole_whatever_stands_beside_them(spark):
+    passage = [line_of(k) for k in range(6)]
+    before, quoted = line_of(50), passage[2]
+    texts = [
+        (1, [before, *passage, "end a"]),
+        (2, ["start b", *passage, "end b"]),  # the line before the passage in 1 is repeated, here it is not
+        (3, [before, "three"]),
+        (4, [quoted, "four"]),  # an inner line quoted alone
+        (5, ["five", passage[0], "", passage[1], " ", *passage[2:]]),  # blank lines inside
+        (6, [*passage[:2], "cut", passage[0], "", passage[1], " ", *passage[2:5]]),
+        (7, ["seven", passage[0], "", "", passage[1], "", *passage[2:4]]),  # other blank lines
+        (8, [line_of(60)] * 9),
+    ]
+    gone = search(texts)
+    assert gone[2] == set(range(1, 7)) and gone[6] == set(range(3, 10)) and gone.get(7) is None
+    got = dict(dedup_lines(frame(spark, [(d, "\n".join(t)) for d, t in texts])).select("doc_id", "text").collect())
+    for d, t in texts[:-1]:
+        assert got[d] == "\n".join(x for k, x in enumerate(t) if k not in gone.get(d, ())), d
+    assert got[8].split("\n") == [line_of(60)] * 4  # the first passage stays whole
+
+
+def test_against_a_search_for_repeated_lines(spark):
+    import random
+
+    rnd = random.Random(5)
+    stock = [line_of(k, rnd.choice([3, 9, 14, 27, 45])) for k in range(25)] + ["", " "]
+    texts = []
+    for d in range(40):
+        lines = [x for k in range(4) for at in [rnd.randrange(20)] for x in (f"{d} own line {k}", *stock[at : at + rnd.randint(1, 7)], rnd.choice(stock))]
+        texts.append((d, lines))
+    gone = search(texts)
+    got = dict(dedup_lines(frame(spark, [(d, "\n".join(t)) for d, t in texts])).select("doc_id", "text").collect())
+    for d, t in texts:
+        assert got[d] == "\n".join(x for k, x in enumerate(t) if k not in gone.get(d, ())), d

@@ -1,16 +1,18 @@
-"""Removal of repeated passages by content-defined chunks of lines.
-
-Every line is hashed, and lines that occur once only are set aside. In each document,
-runs of repeated lines are cut into chunks: where a rolling hash over the hashes of the
-last lines says so, once a chunk has ``LEAST_WORDS`` words, so that the same passage is
-cut alike wherever it stands; where the number of a line's occurrences changes, which
-parts a passage from boilerplate beside it; and a line of that many words is a chunk by
-itself. Chunks of ``LEAST_WORDS`` words that occur again are candidates. Their bytes are
-compared: the least and the largest text under a chunk's hash must be equal. All but the
-first occurrence, by document id and line, are then taken out of their documents.
+"""Removal of repeated passages by windows of repeated lines.
+
+Every line is hashed, and lines that occur once only are set aside. What is left of each
+document are runs of repeated lines, blank lines between them included. Every line of a
+run starts a window, the shortest one of ``LEAST_WORDS`` words from there on, and ends one,
+the shortest up to there. Both follow from the window's own lines, wherever these stand,
+and together the windows within a passage of ``LEAST_WORDS`` words or more cover it: so a
+passage is found whole if and only if it occurs again. A window that occurs again is
+linked to its first occurrence, by document id and line; windows side by side that are
+linked to lines side by side are one range. Ranges and the lines that they are linked to
+are compared byte by byte, and then taken out of their documents. An occurrence that
+overlaps the first one in the same document only loses the lines beyond it.
 
 Shorter repeated lines stay, as do passages within a line. Only hashes and positions are
-shuffled by line or chunk; counts are summed in each task first, and texts move by
+shuffled by line or window; counts are summed in each task first, and texts move by
 document.
 
 Cases: null and empty texts have no lines to remove and stay as they are; rows equal in
@@ -32,11 +34,6 @@ from pyspark.sql import functions as F
 from weft.llm.common import cut, per_batch, small_batches
 
 LEAST_WORDS = 40
-#: Lines under the rolling hash, and of how many positions one is a boundary.
-WINDOW, ONE_IN = 3, 4
-_MASK = (1 << 64) - 1
-_ROLL = 0x9E3779B97F4A7C15
-
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
@@ -53,84 +50,75 @@ def _key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())])
+    """Lines that have words, and the blank lines right before each: how many, and their hash."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("blanks", pa.int32()), ("gap", pa.int64())])
 
     def read(batch: pa.RecordBatch) -> dict:
-        key, doc, at, hashes, words = [], [], [], [], []
+        out: dict[str, list] = {f.name: [] for f in schema}
         for k, d, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            blank: list[str] = []
             for n, line in enumerate(text.split("\n")):
-                if count := len(line.split()):
-                    key.append(k)
-                    doc.append(d)
-                    at.append(n)
-                    hashes.append(line_hash(line))
-                    words.append(count)
-        return {"key": key, "doc_id": doc, "at": at, "hash": hashes, "words": words}
+                if not (count := len(line.split())):
+                    blank.append(line)
+                    continue
+                for name, value in zip(out, (k, d, n, line_hash(line), count, len(blank), line_hash("\n".join(blank)) if blank else 0)):
+                    out[name].append(value)
+                blank = []
+        return out
+
+    return docs.where(F.length("text") > 0).select("key", "doc_id", "text").mapInArrow(per_batch(read, schema), "key long, doc_id long, at int, hash long, words int, blanks int, gap long")
 
-    return docs.where(F.length("text") > 0).select("key", "doc_id", "text").mapInArrow(per_batch(read, schema), "key long, doc_id long, at int, hash long, words int")
 
+def chunks_of(lines: list[tuple[int, ...]]) -> set[tuple[int, int, int]]:
+    """Windows (first line, lines, hash) of a document's repeated lines (at, hash, words, occurrences), in order.
+
+    Two more values of a line are the number of blank lines right before it and their hash.
+    """
+    import xxhash
 
-def chunks_of(lines: list[tuple[int, int, int, int]]) -> set[tuple[int, int, int]]:
-    """Chunks (first line, lines, hash) of a document's repeated lines (at, hash, words, occurrences), in order."""
     out: set[tuple[int, int, int]] = set()
 
-    def close(some: list[tuple[int, int, int, int]]) -> None:
-        if sum(x[2] for x in some) >= LEAST_WORDS:
-            import xxhash
-
-            digest = xxhash.xxh64_intdigest(np.array([x[1] for x in some], dtype=np.int64).tobytes(), seed=len(some))
-            out.add((some[0][0], some[-1][0] - some[0][0] + 1, _signed(digest)))
-
-    def by_content(run: list[tuple[int, int, int, int]]) -> None:
-        made: list[list[tuple[int, int, int, int]]] = []
-        now: list[tuple[int, int, int, int]] = []
-        words = rolled = 0
-        for k, x in enumerate(run):
-            now.append(x)
-            words += x[2]
-            gone = run[k - WINDOW][1] * pow(_ROLL, WINDOW, 1 << 64) if k >= WINDOW else 0
-            rolled = (rolled * _ROLL + x[1] - gone) & _MASK
-            if words >= LEAST_WORDS and (rolled * _ROLL & _MASK) >> 32 & (ONE_IN - 1) == 0:
-                made.append(now)
-                now, words = [], 0
-        if now and words < LEAST_WORDS and made:
-            made[-1].extend(now)
-        elif now:
-            made.append(now)
-        for some in made:
-            close(some)
-
-    runs: list[list[tuple[int, int, int, int]]] = []
-    for x in lines:
-        if x[2] >= LEAST_WORDS:
-            close([x])
-        if runs and runs[-1][-1][0] == x[0] - 1:
-            runs[-1].append(x)
-        else:
-            runs.append([x])
-    for run in runs:
-        alike: list[list[tuple[int, int, int, int]]] = []
+    def windows(run: list[tuple[int, ...]]) -> None:
+        # the hash of a window is over its lines and the blanks between them, not those before it
+        body = np.array([v for x in run for v in (x[5] if len(x) > 5 else 0, x[1])], dtype=np.int64).tobytes()
+        upto = [0]
         for x in run:
-            if alike and alike[-1][-1][3] == x[3]:
-                alike[-1].append(x)
-            else:
-                alike.append([x])
-        by_content(run)
-        for some in alike if len(alike) > 1 else []:
-            by_content(some)
+            upto.append(upto[-1] + x[2])
+        found, start, end = set(), 0, 0
+        for k in range(len(run)):
+            while end < len(run) and upto[end] - upto[k] < LEAST_WORDS:
+                end += 1
+            if upto[end] - upto[k] >= LEAST_WORDS:
+                found.add((k, end))
+            while upto[k + 1] - upto[start + 1] >= LEAST_WORDS:
+                start += 1
+            if upto[k + 1] - upto[start] >= LEAST_WORDS:
+                found.add((start, k + 1))
+        for a, b in found:
+            digest = xxhash.xxh64_intdigest(body[16 * a + 8 : 16 * b], seed=b - a)
+            out.add((run[a][0], run[b - 1][0] - run[a][0] + 1, _signed(digest)))
+
+    run: list[tuple[int, ...]] = []
+    for x in lines:
+        if run and run[-1][0] + (x[4] if len(x) > 4 else 0) + 1 != x[0]:
+            windows(run)
+            run = []
+        run.append(x)
+    if run:
+        windows(run)
     return out
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
     # cut, so that the join has its own exchange on either side and can split a very common line
     counts = cut(lines.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    repeated = lines.join(counts, "hash").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("at", "hash", "words", "n"))).alias("lines"))
+    repeated = lines.join(counts, "hash").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("at", "hash", "words", "n", "blanks", "gap"))).alias("lines"))
     schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lines", pa.int32())])
 
     def read(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, doc, lines in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for at, n, chunk in sorted(chunks_of([(x["at"], x["hash"], x["words"], x["n"]) for x in lines])):
+            for at, n, chunk in sorted(chunks_of([(x["at"], x["hash"], x["words"], x["n"], x["blanks"], x["gap"]) for x in lines])):
                 for name, value in zip(out, (chunk, key, doc, at, n)):
                     out[name].append(value)
         return out
@@ -138,8 +126,38 @@ def _chunks(lines: DataFrame) -> DataFrame:
     return repeated.select("key", "doc_id", "lines").mapInArrow(per_batch(read, schema), "chunk long, key long, doc_id long, at int, lines int")
 
 
+def joined(key: int, links: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Ranges (first document, its line, line, lines) of a document's links of the same form, side by side ones as one.
+
+    Lines that a link's own first occurrence has in the same document are left out.
+    """
+    out: list[list[int]] = []
+    for first, shift, at, end in sorted((f, at - start, max(at, start + n) if f == key else at, at + n) for f, start, at, n in links):
+        if out and out[-1][:2] == [first, shift] and at <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], end)
+        else:
+            out.append([first, shift, at, end])
+    return [(first, at - shift, at, end - at) for first, shift, at, end in out]
+
+
+def _ranges(away: DataFrame) -> DataFrame:
+    """Links of windows to their first occurrence (key, at, lines, from, start), as ranges of the same columns."""
+    schema = pa.schema([("key", pa.int64()), ("from", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("lines", pa.int32())])
+
+    def read(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for key, links in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            for found in joined(key, [(x["from"], x["start"], x["at"], x["lines"]) for x in links]):
+                for name, value in zip(out, (key, *found)):
+                    out[name].append(value)
+        return out
+
+    by_key = away.groupBy("key").agg(F.collect_set(F.struct("from", "start", "at", "lines")).alias("links"))
+    return by_key.mapInArrow(per_batch(read, schema), "key long, from long, start int, at int, lines int")
+
+
 def _confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Chunks all of whose occurrences have the same bytes."""
+    """Chunks all of whose occurrences have the same bytes. found: chunk, key, at and lines."""
     places = found.groupBy("key").agg(F.collect_set(F.struct("at", "lines", "chunk")).alias("places"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +181,13 @@ def removals(docs: DataFrame) -> DataFrame:
     """Per document that loses lines: key, and the ranges (at, lines) to take out. docs: key, doc_id and text."""
     chunks = cut(_chunks(_lines(docs)))
     first = cut(chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first")).where("n > 1"))
-    found = cut(chunks.join(first.select("chunk", "first"), "chunk"))
-    away = found.where(~(F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.at") == F.col("at"))))
-    sure = away.join(_confirmed(docs, found), "chunk")
+    away = chunks.join(first.select("chunk", F.col("first.key").alias("from"), F.col("first.at").alias("start")), "chunk")
+    away = away.where((F.col("from") != F.col("key")) | (F.col("start") != F.col("at")))
+    ranges = cut(_ranges(away).withColumn("chunk", F.xxhash64("from", "start", "lines")))
+    # each stretch of first occurrences once, however many ranges are linked to it
+    firsts = ranges.groupBy("chunk", "from", "start", "lines").agg(F.lit(0)).select("chunk", F.col("from").alias("key"), F.col("start").alias("at"), "lines")
+    places = ranges.select("chunk", "key", "at", "lines").unionByName(firsts)
+    sure = ranges.join(_confirmed(docs, places), "chunk")
     return sure.groupBy("key").agg(F.collect_set(F.struct("at", "lines")).alias("ranges"))
 
 
