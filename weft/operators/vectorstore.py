@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.vectors import dot, normalized
 
-#: Query vectors that may be broadcast.
+#: Query vectors that may be broadcast at once; more are searched in blocks.
 MOST_QUERIES = 10_000
 
 
@@ -30,12 +32,20 @@ def clear(store: DataFrame) -> DataFrame:
 def search(store: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of the store nearest to each query (query_id, query), best first; ties by key.
 
-    Queries are a stated set of checked size that meets every row of the store; each task
-    keeps its own best k of a query before anything is shuffled.
+    Every query meets every row of the store; each task keeps its own best k of a query
+    before anything is shuffled. Queries are dealt to blocks by a hash of their id, of half
+    of what may be broadcast on average.
     """
     n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; search them in parts of {MOST_QUERIES}")
+    if n <= MOST_QUERIES:
+        return _searched(store, queries, k, key, vector)
+    blocks = -(-2 * n // MOST_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_searched(store, queries.where(block == b), k, key, vector) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _searched(store: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     q = queries.select("query_id", normalized(F.col("query")).alias("q"))
     rows = store.select(key, normalized(F.col(vector)).alias("v"))
     scored = rows.join(F.broadcast(q)).select("query_id", key, dot(F.col("q"), F.col("v")).alias("score"))
