@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tests.llm.conftest import frame, prose
 
+from weft.llm import neardup
 from weft.llm.components import components
 from weft.llm.neardup import keep_one, near_duplicates, shingle_set, signature
 
@@ -70,6 +71,27 @@ def test_components_against_all_pairs(spark, odd_rows):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+def test_other_thresholds(spark):
+    rows = corpus()[:200]
+    for percent in (50, 90):
+        got = near_duplicates(frame(spark, rows), 2, percent).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute(rows, 2, percent)
+
+
+def test_groups_of_near_misses(spark, monkeypatch):
+    """Large groups whose members are mostly just below the threshold of each other, in blocks smaller than they are."""
+    monkeypatch.setattr(neardup, "SIGNED_BLOCK", 16)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 16)
+    rows = []
+    for g, share in enumerate((0.035, 0.055, 0.07)):
+        base = prose(600 + g, 150, 3000)
+        rows += [(1000 * g + k, changed(base, share, 31_000 + 1000 * g + k)) for k in range(90)]
+    want = brute(rows, 2)
+    assert 20 < len({c for _, _, c in want}) < 200
+    got = near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+
+
 def test_keep_one(spark, odd_rows):
     rows = corpus() + odd_rows
     docs = frame(spark, rows)
