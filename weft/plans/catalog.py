@@ -23,7 +23,7 @@ def _sql_holds(x: str, parts) -> str:
     return "(" + " OR ".join(f"contains({x}, {_q(p)})" for p in parts) + ")"
 
 
-_INTENT = [(" OR ".join("(" + " AND ".join(f"contains(x, {_q(p)})" for p in every.split("&")) + ")" for every in rule.split("|")), name) for name, rule in C.INTENTS]
+_INTENT = [(" OR ".join("(" + " AND ".join(f"contains(x, {_q(p)})" for p in parts) + ")" for parts in choices), name) for name, choices in C.INTENTS]
 
 
 @query("intent_routing", f"SELECT p_partkey, {_sql_case(_INTENT)} AS intent FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x FROM part)")
