@@ -32,6 +32,30 @@ def test_margins_meet_their_targets(spark):
     assert abs(share["en"] - 0.5) < 1e-3 and abs(cells.w.sum() - cells.t.sum()) < 1e-6 * cells.t.sum()
 
 
+def test_the_sample_meets_the_targets(spark):
+    """Shares of the tokens that are expected in the sample, and of those that are in it."""
+    docs = frame(spark, [(k, *row[1:]) for k, row in enumerate(corpus() * 40)])
+    given = {"lang": {"en": 0.4, "fr": 0.6}, "source": {"a": 0.5, **{f"s{k}": 0.5 / 7 for k in range(7)}}}
+    targets = {name: spark.createDataFrame(list(shares.items()), "value string, share double") for name, shares in given.items()}
+    rows = mixing.report(docs, targets=targets).toPandas()
+    assert rows.probability.max() <= 1.0 and 0.2 < rows.sampled.mean() < 0.95
+    expected, kept = rows.assign(tokens=rows.tokens * rows.probability), rows[rows.sampled]
+    spread = (rows.tokens**2 * rows.probability * (1 - rows.probability)).sum() ** 0.5 / expected.tokens.sum()
+    assert spread < 0.03
+    for name, shares in given.items():
+        for value, share in shares.items():
+            for some, error in ((expected, 1e-3), (kept, 3 * spread)):
+                assert abs(some[some[name] == value].tokens.sum() / some.tokens.sum() - share) < error, (name, value)
+
+
+def test_own_shares_tempered_are_met_by_the_sample(spark):
+    rows = mixing.report(frame(spark, corpus())).toPandas()
+    for name, power in mixing.TEMPER.items():
+        own = rows.groupby(name).tokens.sum() ** power
+        got = (rows.tokens * rows.probability).groupby(rows[name]).sum()
+        assert (abs(got / got.sum() - own / own.sum()) < 1e-3).all()
+
+
 def test_sample_keeps_columns_and_decides_by_id(spark, odd_rows):
     docs = frame(spark, corpus() + odd_rows)
     report = {(str(r["doc_id"]), r["sampled"]) for r in mixing.report(docs).collect()}

@@ -1,21 +1,23 @@
 """Mixing to target weights by iterative proportional fitting, by DataFrame operations only.
 
 Documents are summed into cells of source, language and topic. The cells' token weights
-are raked: in turn, each margin's weights are scaled to its targets, ``SWEEPS`` times
-over all three. A document's calibration is its cell's raked weight over its cell's
-tokens; it is sampled with that probability, at most 1, by a hash of its id, so that
-over-full cells are thinned and the others are kept whole. Only cells are ever grouped
-or joined to, never documents of one key; the cells are broadcast if they are counted to
-be few, else they are joined by their key.
+are raked: in turn, each margin's weights are scaled to its targets, in rounds of
+``SWEEPS`` over all three until no margin is off by more than ``TOLERANCE``. A document's
+calibration is its cell's raked weight over its cell's tokens; its probability is the
+calibration over the largest one, so that none is over 1 and the tokens that are expected
+in the sample have the raked shares: the cell that the corpus has least of is kept whole
+and the others are thinned to match. A document is sampled by a hash of its id. Only cells
+are ever grouped or joined to, never documents of one key; the cells are broadcast if
+they are counted to be few, else they are joined by their key.
 
 Targets default to the margin's own token shares, tempered: a share to the power of
 ``TEMPER``, scaled to 1. A topic is the first rule of ``TOPICS`` that a text meets. Tokens
 are counted as parts between blanks.
 
-Cases: null and empty texts have no tokens, topic ``empty`` and calibration 1 when their
-cell has no tokens; null sources and languages are a value of their own; rows of the same
-id are sampled alike; margins whose targets can't all be met end where the sweeps end; an
-empty table gives no rows; columns of other names, also ``weight`` or ``topic``, stay as
+Cases: null and empty texts have no tokens, topic ``empty`` and calibration and probability 1 when
+their cell has no tokens; null sources and languages are a value of their own; rows of the same
+id are sampled alike; margins whose targets can't all be met end after ``MOST_ROUNDS``
+rounds; a target of 0 takes its documents out; an empty table gives no rows; columns of other names, also ``weight`` or ``topic``, stay as
 they are in ``sample``.
 """
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import cut
 
 SWEEPS = 6
+TOLERANCE = 1e-4
+MOST_ROUNDS = 20
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 1.0}
 #: Cells that may be broadcast, some 60 bytes each.
 MOST_BROADCAST = 100_000
@@ -83,10 +87,14 @@ def raked(cells: DataFrame, temper: dict[str, float] | None = None, sweeps: int
             own = own.select(key, F.pow(F.col("m"), temper[name]).alias("s"))
         shares = own.agg(F.sum("s")).first()[0] or 1.0
         out = out.join(own.select(key, (F.col("s") / shares * whole).alias(f"goal_{name}")), key)
-    for _ in range(sweeps):
-        for name in temper:
+    off = [F.when(F.col(f"goal_{name}") > 0, F.abs(F.sum("w").over(_by(f"_{name}")) / F.col(f"goal_{name}") - 1)).otherwise(0.0) for name in temper]
+    for _ in range(MOST_ROUNDS):
+        for name in [*temper] * sweeps:
             now = F.sum("w").over(_by(f"_{name}"))
             out = out.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"goal_{name}") / now).otherwise(0.0))
+        out = cut(out)
+        if (out.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+            break
     return out.select(*KEYS, "t", "n", "w")
 
 
@@ -105,11 +113,12 @@ def chance(doc_id: Column) -> Column:
 def calibrated(docs: DataFrame, **how: object) -> DataFrame:
     """The documents with _source, _lang, _topic, _tokens, calibration, probability and sampled."""
     cells = cut(raked(cells_of(docs), **how).select(*KEYS, (F.col("w") / F.col("t")).alias("calibration")))
+    largest = cells.agg(F.max("calibration")).first()[0] or 1.0
     if cells.count() <= MOST_BROADCAST:
         cells = F.broadcast(cells)
     rows = docs.select("*", *keyed()).join(cells, KEYS, "left")
+    rows = rows.withColumn("probability", F.coalesce(F.col("calibration") / largest, F.lit(1.0)))
     rows = rows.withColumn("calibration", F.coalesce("calibration", F.lit(1.0)))
-    rows = rows.withColumn("probability", F.least(F.col("calibration"), F.lit(1.0)))
     return rows.withColumn("sampled", chance(F.col("doc_id")) < F.col("probability"))
 
 
@@ -144,10 +153,10 @@ def oracle(docs: str = "documents", temper: dict[str, float] | None = None, swee
         for name in temper:
             ctes.append(f"w{at + 1} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {name}) > 0 THEN w * goal_{name} / sum(w) OVER (PARTITION BY {name}) ELSE 0.0 END AS w) FROM w{at})")
             at += 1
-    ctes.append(f"r AS (SELECT k.*, coalesce(w / t, 1.0) AS f FROM k LEFT JOIN w{at} USING (source, lang, topic))")
+    ctes.append(f"r AS (SELECT k.*, coalesce(w / t, 1.0) AS f, coalesce(w / t / (SELECT max(w / t) FROM w{at}), 1.0) AS p FROM k LEFT JOIN w{at} USING (source, lang, topic))")
     return f"""WITH {", ".join(ctes)}
-    SELECT doc_id, source, lang, topic, tokens, round(f, 6) AS calibration, round(least(f, 1.0), 6) AS probability,
-        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~null')), 1, 13) AS BIGINT) / 4503599627370496.0 < least(f, 1.0) AS sampled FROM r"""
+    SELECT doc_id, source, lang, topic, tokens, round(f, 6) AS calibration, round(p, 6) AS probability,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~null')), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled FROM r"""
 
 
 ORACLE = oracle()
