@@ -3,10 +3,14 @@
 ``decode`` reads any GIF 87a or 89a: LZW code streams of 2 to 8 bits, global and local
 palettes, interlacing, transparency, frame times and the disposal rules, and gives each
 frame's samples and the canvas after it. ``encode_payload`` keeps bytes as samples of a
-grey palette, 64 in a row; payloads of over 65,535 rows go on in further frames. Its
-code streams are literal codes with a clear code before the code width would grow, so
-that they are written and read by whole arrays; streams of any other writer go through
-the general LZW reader.
+colour palette (three bits of red and green, two of blue), 64 in a row and 256 rows in a
+frame, coded with a growing LZW table that is cleared when it is full. Frames are shown
+for a tenth of a second each; their disposal goes through leaving, clearing and bringing
+back, and the sample of a blank is transparent, so that the canvases, by whose colours a
+file is described, come from all the rules. Samples are read back as they were stored.
+
+Code words are unpacked by arrays, by the widths that follow from their place after the
+last clear code; the dictionary is built word by word.
 
 Cases: null and empty texts are 64 zero bytes; texts of any length are kept whole; equal
 texts give equal files; an empty table gives no rows; further columns are not read.
@@ -17,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +33,17 @@ from pyspark.sql import functions as F
 from weft.llm.common import per_batch, small_batches
 
 WIDTH = 64
-MOST_ROWS = 65_535
-#: Literal codes between two clear codes: the next entry would be number 512 and widen the codes.
-RUN = 254
-BINS = 16
+FRAME_ROWS = 256
+DELAY_CS = 10
+#: Samples of a blank are transparent in what is written here.
+BLANK = 32
+#: Colours in a histogram: two bits each of red, green and blue; the last bin is for pixels that show nothing.
+BINS = 64
+#: Entries of a code table, and codes after a clear code until it is full.
+FULL = 4096
 
 _GREY = bytes(v for v in range(256) for _ in range(3))
+_COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 @dataclass
@@ -59,37 +70,49 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(max(-len(raw) % WIDTH, 0 if raw else WIDTH)), len(raw)
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, least bit first: eight of them fill nine bytes."""
-    full = np.zeros(-(-len(codes) // 8) * 8, dtype=np.uint16)
-    full[: len(codes)] = codes
-    eight = full.reshape(-1, 8)
-    wide = eight.astype(np.uint32) << np.arange(8, dtype=np.uint32)
-    out = np.zeros((len(eight), 9), dtype=np.uint8)
-    out[:, :8] = wide & 0xFF
-    out[:, 1:] |= (wide >> 8).astype(np.uint8)
-    return out.tobytes()[: (len(codes) * 9 + 7) // 8]
+@lru_cache(maxsize=8)
+def _widths(least: int) -> np.ndarray:
+    """The bits of each code after a clear code; from there on, codes have 12."""
+    entries = (1 << least) + 1 + np.arange(FULL, dtype=np.int64)
+    return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, least + 1, 12)
 
 
-def _unpack9(stream: bytes) -> np.ndarray:
-    n = len(stream) * 8 // 9
-    full = np.zeros(-(-len(stream) // 9) * 9, dtype=np.uint8)
-    full[: len(stream)] = np.frombuffer(stream, dtype=np.uint8)
-    nine = full.reshape(-1, 9).astype(np.uint16)
-    shift = np.arange(8, dtype=np.uint16)
-    return (((nine[:, :8] >> shift) | (nine[:, 1:] << (8 - shift))) & 0x1FF).reshape(-1)[:n]
+def lzw_codes(data: bytes) -> list[int]:
+    """Codes of 8-bit samples: the longest words known so far; the table is cleared when it is full."""
+    table: dict[int, int] = {}
+    known, free, now, out = table.get, 258, data[0], [256]
+    for sample in data[1:]:
+        word = now << 8 | sample
+        if (code := known(word)) is not None:
+            now = code
+            continue
+        out.append(now)
+        now = sample
+        if free < FULL:
+            table[word] = free
+            free += 1
+        else:
+            out.append(256)
+            table.clear()
+            free = 258
+    return [*out, now, 257]
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit literals: clear, 254 literals, clear, ... , end."""
-    runs = -(-len(samples) // RUN)
-    codes = np.empty((runs, RUN + 1), dtype=np.uint16)
-    codes[:, 0] = 256
-    padded = np.zeros(runs * RUN, dtype=np.uint16)
-    padded[: len(samples)] = samples
-    codes[:, 1:] = padded.reshape(runs, RUN)
-    flat = codes.reshape(-1)[: len(samples) + runs]
-    return _pack9(np.append(flat, np.uint16(257)))
+def lzw_stream(samples: np.ndarray) -> bytes:
+    """The code stream of 8-bit samples, least bit first."""
+    codes = np.array(lzw_codes(samples.tobytes()), dtype=np.int64)
+    clears = np.flatnonzero(codes == 256)
+    place = np.arange(len(codes)) - 1 - np.repeat(clears, np.diff(np.append(clears, len(codes))))
+    widths = np.where(place < 0, 0, _widths(8)[np.clip(place, 0, FULL - 1)])
+    widths[clears[1:]] = widths[clears[1:] - 1]  # a clear code is as wide as the table that it ends makes it
+    widths[0] = 9
+    starts = np.cumsum(widths) - widths
+    value = codes << (starts & 7)
+    size = int(starts[-1] + widths[-1] + 7) // 8
+    out = np.zeros(size + 3)
+    for k in range(3):
+        out += np.bincount((starts >> 3) + k, weights=value >> 8 * k & 255, minlength=size + 3)
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -116,93 +139,91 @@ def _unblock(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + n
 
 
-def encode_frames(frames: list[np.ndarray], palette: bytes = _GREY, delay_cs: int = 10) -> bytes:
+def encode_frames(frames: list[np.ndarray], palette: bytes = _COLOURS, delay_cs: int = DELAY_CS, transparent: int | None = BLANK) -> bytes:
     """A GIF of frames of 8-bit samples, rows by columns, shown one after another from the same corner."""
     height, width = max(f.shape[0] for f in frames), max(f.shape[1] for f in frames)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
-    for f in frames:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 0, delay_cs, 0) + b"\0")
+    for k, f in enumerate(frames):
+        disposal = 1 + k % 3
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (transparent is not None), delay_cs, transparent or 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, f.shape[1], f.shape[0], 0) + b"\x08")
-        out.append(_blocks(_literal_stream(f.reshape(-1))))
+        out.append(_blocks(lzw_stream(f.reshape(-1))))
     return b"".join([*out, b"\x3b"])
 
 
 def encode_payload(payload: bytes) -> bytes:
     """Bytes, a positive multiple of 64, as samples of one or more frames of width 64."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
-    return encode_frames([rows[at : at + MOST_ROWS] for at in range(0, len(rows), MOST_ROWS)])
+    return encode_frames([rows[at : at + FRAME_ROWS] for at in range(0, len(rows), FRAME_ROWS)])
 
 
 def lzw(stream: bytes, least: int, n: int) -> np.ndarray:
     """The n samples of a code stream; ``least``: bits of a sample."""
     if not 2 <= least <= 8:
         raise BadGif("code size")
-    if least == 8 and (found := _literals(stream, n)) is not None:
-        return found
     clear, end = 1 << least, (1 << least) + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    entries, width, last = list(base), least + 1, None
-    out, made, held, bits, at = [], 0, 0, 0, 0
-    while made < n:
-        while bits < width:
-            if at >= len(stream):
-                raise BadGif("the code stream ends early")
-            held |= stream[at] << bits
-            bits += 8
-            at += 1
-        code = held & ((1 << width) - 1)
-        held >>= width
-        bits -= width
-        if code == clear:
-            entries, width, last = list(base), least + 1, None
-            continue
-        if code == end:
-            break
-        if last is None:
-            if code >= clear:
+    held = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.int64)
+    three = held[:-2] | held[1:-1] << 8 | held[2:] << 16
+    schedule, bits = _widths(least), 8 * len(stream)
+    out: list[bytes] = []
+    made, bit, place, ended = 0, 0, 0, False
+    entries, last = list(base), b""
+    while made < n and not ended:
+        widths = schedule[place:] if place < FULL else np.full(FULL, 12)
+        widths = widths[: (bits - bit) // (least + 1) + 1]
+        ends = bit + np.cumsum(widths)
+        ends = ends[ends <= bits]
+        if not len(ends):
+            raise BadGif("the code stream ends early")
+        widths = widths[: len(ends)]
+        starts = ends - widths
+        codes = three[starts >> 3] >> (starts & 7) & (1 << widths) - 1
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        some = codes[:stop].tolist()
+        words = []
+        if some and not last:
+            if some[0] >= clear:
                 raise BadGif("a first code that is no sample")
-            word = entries[code]
-        elif code < len(entries):
-            word = entries[code]
-        elif code == len(entries) < 4096:
-            word = last + last[:1]
-        else:
-            raise BadGif("a code that is not in the table")
-        if last is not None and len(entries) < 4096:
+            last = entries[some.pop(0)]
+            words.append(last)
+        size = len(entries)
+        room = FULL - size
+        for code in some[:room]:
+            if code < size:
+                word = entries[code]
+            elif code == size:
+                word = last + last[:1]
+            else:
+                raise BadGif("a code that is not in the table")
             entries.append(last + word[:1])
-            if len(entries) == 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        made += len(word)
-        last = word
+            size += 1
+            words.append(word)
+            last = word
+        if len(some) > room:  # the table is full
+            words += [entries[code] for code in some[room:]]
+            last = words[-1]
+        out += words
+        made += sum(map(len, words))
+        place += stop
+        if stop < len(codes):
+            ended = int(codes[stop]) == end
+            bit, place, entries, last = int(ends[stop]), 0, list(base), b""
+        else:
+            bit = int(ends[-1])
     if made < n:
         raise BadGif("too few samples")
     return np.frombuffer(b"".join(out), dtype=np.uint8, count=n)
 
 
-def _literals(stream: bytes, n: int) -> np.ndarray | None:
-    """The samples if all codes are literals of 9 bits with clear codes in time, else None."""
-    codes = _unpack9(stream)
-    stops = np.flatnonzero(codes == 257)
-    if not len(stops):
-        return None
-    codes = codes[: stops[0]]
-    clears = np.flatnonzero(codes == 256)
-    if not len(clears) or clears[0] or codes.max(initial=0) > 256:
-        return None
-    if np.diff(np.append(clears, len(codes))).max() > RUN + 1:
-        return None
-    samples = codes[codes < 256].astype(np.uint8)
-    return samples[:n] if len(samples) >= n else None
-
-
 def _interlaced(height: int) -> np.ndarray:
     """Where the stored rows of an interlaced frame belong: every 8th, then the rows between, in three more passes."""
     return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes, show: bool = True) -> list[Frame]:
-    """The frames of a GIF. show: draw the canvas after each, in RGBA."""
+def parse(data: bytes) -> tuple[int, int, list[Frame]]:
+    """Width, height and frames of a GIF, as stored."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise BadGif("no GIF signature")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -245,13 +266,19 @@ def decode(data: bytes, show: bool = True) -> list[Frame]:
             delay, disposal, transparent = 0, 0, None
         else:
             raise BadGif("an unknown block")
-    if show:
-        _draw(frames, width, height)
+    return width, height, frames
+
+
+def decode(data: bytes) -> list[Frame]:
+    """The frames of a GIF, each with the canvas after it, in RGBA."""
+    width, height, frames = parse(data)
+    for f, canvas in zip(frames, canvases(width, height, frames)):
+        f.shown = canvas.copy()
     return frames
 
 
-def _draw(frames: list[Frame], width: int, height: int) -> None:
-    """Canvases: a frame is drawn where it isn't transparent; its disposal then leaves it, clears its place, or brings back what was before."""
+def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
+    """What is shown after each frame: it is drawn where it isn't transparent; its disposal then leaves it, clears its place, or brings back what was before."""
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -266,7 +293,7 @@ def _draw(frames: list[Frame], width: int, height: int) -> None:
         else:
             drawn = seen != f.transparent
             spot[drawn] = colours[seen[drawn]]
-        f.shown = canvas.copy()
+        yield canvas
         if f.disposal == 2:
             spot[...] = 0
         elif f.disposal == 3:
@@ -275,16 +302,22 @@ def _draw(frames: list[Frame], width: int, height: int) -> None:
 
 def payload_from(data: bytes) -> bytes:
     """The samples of all frames, one after another."""
-    return b"".join(f.samples.tobytes() for f in decode(data, show=False))
+    return b"".join(f.samples.tobytes() for f in parse(data)[2])
+
+
+def histogram(canvas: np.ndarray) -> np.ndarray:
+    """Pixels of a canvas by colour, and those that show nothing."""
+    parts = (canvas[..., :3] >> 6).astype(np.intp)
+    colour = parts[..., 0] << 4 | parts[..., 1] << 2 | parts[..., 2]
+    return np.bincount(np.where(canvas[..., 3] > 0, colour, BINS).reshape(-1), minlength=BINS + 1)
 
 
-def histogram(samples: np.ndarray, palette: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Pixels by brightness of their colour, in equal bins."""
-    used = np.zeros((256, 3), dtype=np.uint32)
-    used[: len(palette)] = palette
-    grey = (used.sum(axis=1) // 3) * bins // 256
-    counts = np.bincount(samples.reshape(-1), minlength=256)
-    return np.bincount(grey, weights=counts, minlength=bins).astype(np.int64)
+def timed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Start, delay and colour histogram of each frame's canvas."""
+    start = 0
+    for f, canvas in zip(frames, canvases(width, height, frames)):
+        yield start, f.delay_ms, histogram(canvas)
+        start += f.delay_ms
 
 
 STORED = "doc_id long, n_bytes long, media binary"
@@ -311,14 +344,11 @@ def frames(stored: DataFrame) -> DataFrame:
     def read(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name, _ in kinds}
         for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            start = 0
-            for k, f in enumerate(decode(data) if data else []):
-                rgb = f.shown[..., :3].astype(np.uint32).sum(axis=2) // 3
-                counts = np.bincount((rgb * BINS // 256).reshape(-1), minlength=BINS)
-                row = (doc_id, k, start, f.delay_ms, f.shown.shape[1], f.shown.shape[0], counts)
-                for name, value in zip(out, row):
-                    out[name].append(value)
-                start += f.delay_ms
+            if data:
+                width, height, stored_frames = parse(data)
+                for k, (start, delay, counts) in enumerate(timed(width, height, stored_frames)):
+                    for name, value in zip(out, (doc_id, k, start, delay, width, height, counts)):
+                        out[name].append(value)
         return out
 
     ddl = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, histogram array<long>"
@@ -326,25 +356,30 @@ def frames(stored: DataFrame) -> DataFrame:
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digests of what the stored files hold, read back from their bytes.
+    """Digests of what the stored files hold, read back from their bytes, and their timed frames.
 
-    feature: pixels by brightness in 16 bins, over all frames, and the number of frames.
+    feature: pixels by colour over all canvases (colour:pixels of those that occur), the
+    number of frames and their time. frames: start_ms, delay_ms and histogram of each.
     """
     small_batches(stored.sparkSession)
-    names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    frame = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+    names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "frames": pa.list_(frame)}
     schema = pa.schema(list(names.items()))
 
     def read(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in names}
         for doc_id, n_bytes, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            got = decode(data, show=False)
+            width, height, got = parse(data)
             payload = b"".join(f.samples.tobytes() for f in got)
-            counts = sum(histogram(f.samples, f.palette) for f in got)
-            feature = ",".join(map(str, counts.tolist())) + f";frames={len(got)}"
-            row = (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature)
+            shown = list(timed(width, height, got))
+            counts = sum(h for _, _, h in shown)
+            pixels = ",".join(f"{k}:{counts[k]}" for k in np.flatnonzero(counts))
+            feature = f"{pixels};frames={len(got)};ms={sum(d for _, d, _ in shown)}"
+            each = [{"start_ms": s, "delay_ms": d, "histogram": h.tolist()} for s, d, h in shown]
+            row = (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature, each)
             for name, value in zip(out, row):
                 out[name].append(value)
         return out
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms:long,delay_ms:long,histogram:array<long>>>"
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(per_batch(read, schema), ddl)
