@@ -5,9 +5,9 @@ inverse document frequencies, of unit length. Each language has several centroid
 clustered from its sample by spherical k-means. A text gets the language of the centroid
 of largest cosine; one farther off than nearly all of that centroid's own sample is
 marked ``rejected``, its language still told. The classifier is fitted on a bounded
-sample: at most ``SAMPLE_EACH`` labelled documents of a language (expected) and
-``SAMPLE_ALL`` in all, chosen by a hash of the id; languages beyond the
-``MOST_LANGUAGES`` most frequent are not learned.
+sample: at most ``SAMPLE_EACH`` labelled documents of a language, less where there are so
+many languages that these were over ``SAMPLE_ALL``, but one at least: those that come
+first by a hash of id and text. Every language is learned.
 
 Cases: null texts and texts without letters are ``und`` with score 0, as is every text
 when nothing is labelled; texts are read whole; equal texts are predicted alike; a
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import per_batch, small_batches
@@ -30,7 +30,8 @@ BUCKETS = 1 << 14
 CENTROIDS = 4
 SAMPLE_EACH = 500
 SAMPLE_ALL = 8_192
-MOST_LANGUAGES = 512
+#: Languages whose limits may be broadcast.
+MOST_BROADCAST = 100_000
 #: Share of a centroid's sample that may lie beyond its limit.
 REJECT = 0.005
 UND = "und"
@@ -99,14 +100,16 @@ def fit(docs: DataFrame, allowed: Column, each: int = SAMPLE_EACH, most: int = S
     """Learns from the rows that ``allowed`` lets through and whose lang is set."""
     small_batches(docs.sparkSession)
     rows = docs.where(allowed & F.col("lang").isNotNull() & (F.trim("lang") != "")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return Centroids(np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
-    share = min(each, most // len(sizes))
-    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for row in sizes:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (dealt < int(1_000_000 * min(1.0, share / row["count"]) + 1)))
+    share = max(1, min(each, most // languages))
+    rows = rows.withColumn("turn", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(9)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    limits = rows.select("lang", "turn").withColumn("place", place).where(F.col("place") <= share).groupBy("lang").agg(F.max("turn").alias("last"))
+    taken = rows.join(F.broadcast(limits) if languages <= MOST_BROADCAST else limits, "lang").where(F.col("turn") <= F.col("last"))
+    # rows of one id and turn count once, however many there are
+    taken = taken.groupBy("lang", "turn").agg(F.min("text").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def sparse(batch: pa.RecordBatch) -> dict:
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, allowed: Column, each: int = SAMPLE_EACH, most: int = S
                 out["n"].append(counts[at])
         return out
 
-    got = rows.where(wanted).select("text", "lang").mapInArrow(per_batch(sparse, schema), "lang string, at array<int>, n array<int>").toArrow()
+    got = taken.select("text", "lang").mapInArrow(per_batch(sparse, schema), "lang string, at array<int>, n array<int>").toArrow()
     langs = got.column("lang").to_pylist()
     at, n = got.column("at").combine_chunks(), got.column("n").combine_chunks()
     ends = at.offsets.to_numpy() if len(langs) else np.zeros(1, int)
