@@ -3,15 +3,17 @@
 Documents are tokenized where they are read. A document longer than a sequence is cut
 into full pieces and a rest; nothing else is cut. Pieces are dealt by a hash of their
 document, some ``PIECES_PER_TASK`` to a task, whatever the size of the corpus, and each
-task packs its own with bounded-space best-fit: at most ``OPEN_BINS`` sequences are
-open, a bitset of free spaces finds the tightest one that holds a piece, and when there
-are too many, the fullest closes. Tasks take long pieces first. What the split into
-tasks costs is at most one ill-filled sequence in a task of thousands.
+task packs its own online with bounded-space best-fit: pieces are placed as they come, in
+the order of a hash; at most ``OPEN_BINS`` sequences are open, a bitset of free spaces
+finds the tightest one that holds a piece, and when there are too many, the fullest
+closes. A task holds its open sequences and one batch of pieces. On lengths like those of
+``check_s`` (16,384 pieces a task) this makes 0.6 % more sequences than the tokens fill,
+with 64 open ones as with 8,192.
 
 Cases: null and empty texts are one end token; repeated rows are packed each for
 itself, in equal terms; an empty table gives no rows; a null id is kept; further
-columns are not read, so their names can't clash. Rerun tasks pack alike, for they sort
-what they got.
+columns are not read, so their names can't clash. Rerun tasks pack alike, for the order
+of the pieces doesn't hang on their arrival.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from weft.llm.common import per_batch, small_batches
 from weft.llm.tokens import word_ids
 
 CAPACITY = 4096
-OPEN_BINS = 8192
+OPEN_BINS = 256
 PIECES_PER_TASK = 16_384
 END_ID = 1
 
@@ -98,23 +100,18 @@ class Bins:
 def pack(cut: DataFrame, rows: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Adds sequence_id and offset to pieces. ``rows``: about how many there are, by which the number of tasks is set."""
     names = cut.columns
-    schema = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        got = pa.Table.from_batches(held)
-        got = got.sort_by([("length", "descending"), *((n, "ascending") for n in ("doc_id", "piece", "start", "ids_crc32"))])
         bins = Bins(capacity, open_bins)
-        placed = [bins.place(n) for n in got.column("length").to_pylist()]
         first = TaskContext.get().partitionId() << 32
-        got = got.append_column("sequence_id", pa.array([first + s for s, _ in placed], pa.int64()))
-        got = got.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
-        yield from got.combine_chunks().to_batches(max_chunksize=4096)
+        for batch in batches:
+            placed = [bins.place(n) for n in batch.column(names.index("length")).to_pylist()]
+            places = (pa.array([first + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *places], names=[*names, "sequence_id", "offset"])
 
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = cut.repartition(max(1, -(-rows // per_task)), "doc_id", "piece", "ids_crc32")
+    keys = ("doc_id", "piece", "ids_crc32")
+    dealt = cut.repartition(max(1, -(-rows // per_task)), *keys).sortWithinPartitions(F.xxhash64(*keys, F.lit(1)), *keys, "start")
     return dealt.select(*names).mapInArrow(run, schema)
 
 
