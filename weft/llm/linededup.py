@@ -187,13 +187,15 @@ def removals(docs: DataFrame) -> DataFrame:
     # each stretch of first occurrences once, however many ranges are linked to it
     firsts = ranges.groupBy("chunk", "from", "start", "lines").agg(F.lit(0)).select("chunk", F.col("from").alias("key"), F.col("start").alias("at"), "lines")
     places = ranges.select("chunk", "key", "at", "lines").unionByName(firsts)
-    sure = ranges.join(_confirmed(docs, places), "chunk")
+    # cut, so that a chunk with very many occurrences can be split
+    sure = ranges.join(cut(_confirmed(docs, places)), "chunk")
     return sure.groupBy("key").agg(F.collect_set(F.struct("at", "lines")).alias("ranges"))
 
 
-def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
-    """The documents with their repeated passages taken out, and ``n_removed``, the lines that went.
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, count: str | None = "n_removed") -> DataFrame:
+    """The documents with their repeated passages taken out, and, in a column named by ``count``, the lines that went.
 
+    An input column of that name gives way to it; with no ``count`` the columns are those of the input.
     drop_emptied: leave out documents of which nothing but blanks is left, unless nothing was taken.
     """
     small_batches(docs.sparkSession)
@@ -210,5 +212,5 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     if drop_emptied:
         out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     names = docs.columns
-    columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in names if c != "n_removed"]
-    return out.select(*columns, "n_removed")
+    columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in names if c != count]
+    return out.select(*columns, *([F.col("n_removed").alias(count)] if count else []))
