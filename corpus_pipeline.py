@@ -11,6 +11,11 @@ of ``documents``:
    one with the least id stays.
 4. mixing: documents are sampled to the raked weights of sources, languages and topics.
 5. packing: what is left is tokenized and packed into sequences of 4,096 tokens.
+
+Null, empty and very long texts, ties, repeated rows, empty tables and further columns,
+also with the names that the stages use, are handled as each stage's operator says:
+documents without words pass all stages but the sampling, and end as one end token;
+rows equal in id and text share one fate; a first stage without labels rejects nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(docs, drop_emptied=True).drop("n_removed")
+    return linededup.dedup_lines(docs, drop_emptied=True, count=None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
