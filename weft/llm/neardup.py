@@ -6,9 +6,9 @@ labels in a tree share their first ``DEPTH`` values are in one region of it.
 
 First, in each region all are compared with its least member, which joins large groups
 of copies by few links. Where a region still holds several groups, the forest goes
-deeper: at each of ``DEEPER`` lengths, the classes with the same longer prefix are
-compared with the first and last of them in an order of the tree's own, until prefixes
-part the groups. So the neighbours with the longest common prefix meet in each tree.
+deeper, by the lengths in ``DEEPER``, until prefixes part the groups: in each tree, every
+class is compared with the neighbour of another group that it has the longest prefix in
+common with, the first or last there in an order of the tree's own.
 
 What is still apart in a region after that is compared whole: the members of a region
 that are not of its largest group are laid out in blocks, and meet the blocks of all its
@@ -214,19 +214,30 @@ def _regions(classes: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _deeper(members: DataFrame, forest: Forest) -> DataFrame:
-    """(region, node, component, turn): the prefixes of each member at every depth; turn: its place in the tree's own order."""
-    schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("turn", pa.int64())])
+    """(region, tree, depth, node, component, turn): the prefixes of each member at every depth; turn: its place in the tree's own order."""
+    kinds = {"region": pa.int64(), "tree": pa.int16(), "depth": pa.int16(), "node": pa.int64(), "component": pa.int64(), "turn": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 trees, nodes, comps = (batch.column(i).to_numpy() for i in range(3))
-                trees = trees.astype(np.int64)
                 turn = _signed(_mix(nodes.view(np.uint64) + _mix(trees.astype(np.uint64) + _K[2])))
-                for keys in _prefix_keys(_matrix(batch.column(3)), trees, forest.depths, forest.orders()):
-                    yield pa.RecordBatch.from_pydict({"region": _signed(keys), "node": nodes, "component": comps, "turn": turn}, schema=schema)
+                keys = _prefix_keys(_matrix(batch.column(3)), trees.astype(np.int64), forest.depths, forest.orders())
+                for depth, regions in zip(forest.depths, keys):
+                    yield pa.RecordBatch.from_pydict({"region": _signed(regions), "tree": trees, "depth": np.full(len(nodes), depth, np.int16), "node": nodes, "component": comps, "turn": turn}, schema=schema)
 
-    return members.select("tree", "node", "component", "sig").mapInArrow(read, "region long, node long, component long, turn long")
+    return members.select("tree", "node", "component", "sig").mapInArrow(read, "region long, tree short, depth short, node long, component long, turn long")
+
+
+def _neighbours(deep: DataFrame) -> DataFrame:
+    """(u, v): in each tree, every class and the neighbour of another group at its greatest depth with one."""
+    who = F.struct("turn", "node", "component")
+    stars = deep.groupBy("region").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("region", "lo", "hi")
+    met = deep.join(cut(stars), "region")
+    end = F.when(F.col("lo.component") != F.col("component"), F.col("lo.node")).when(F.col("hi.component") != F.col("component"), F.col("hi.node"))
+    nearest = met.select("tree", "node", "depth", end.alias("end")).where("end IS NOT NULL").groupBy("tree", "node").agg(F.max_by("end", "depth").alias("end"))
+    return nearest.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
@@ -434,12 +445,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     several = open_members.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
     spread = open_members.join(several, "region", "left_semi").select("tree", "node", "component")
     deep = cut(_deeper(spread.join(classes.select("node", "sig"), "node"), forest))
-    who = F.struct("turn", "node", "component")
-    stars = deep.groupBy("region").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("region", "lo", "hi")
-    met = deep.join(cut(stars), "region")
-    ends = F.explode(F.filter(F.array("lo", "hi"), lambda end: end["component"] != F.col("component"))).alias("end")
-    found = met.select("node", ends).select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v"))
-    fresh = found.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    fresh = _neighbours(deep).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
     groups = with_links(groups, _confirmed(_alike(fresh, classes, forest), classes, docs, size, percent))
 
     near = cut(_near_groups(still_open(groups).select("region", "node", "component"), classes, forest))
