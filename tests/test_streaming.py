@@ -17,6 +17,13 @@ def test_dedup_over_batches(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [1, 3, 5]
 
 
+def test_dedup_forgets_old_buckets(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    for number, ttl in enumerate(["30 days", "30 days", "0 seconds"]):
+        S.deduplicating(str(tmp_path / "index"), str(tmp_path / "kept"), ttl=ttl)(spark.createDataFrame([(number, text)], "doc_id long, text string"), number)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [0, 2]
+
+
 def rows_of(spark):
     rows = [("a", 0.0, 1), ("a", 1.0, 1), ("a", 2.0, 0), ("a", 3.0, 1), ("a", 4.0, 1), ("a", 5.0, 1), ("b", 0.0, 1), ("b", 6.0, 1), ("b", 7.0, 1), ("b", 8.0, 1), ("c", 0.0, 1), ("c", 40.0, 1), ("c", 41.0, 1), ("c", 42.0, 1)]
     return spark.createDataFrame(rows, "key string, seconds double, hit int"), {"a": 5.0, "b": 8.0}

@@ -25,6 +25,12 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
+def trimmed(turns: DataFrame, group: str, order: str, most: int = 50, keep: int = 30) -> DataFrame:
+    """Histories of more than ``most`` turns are cut to their last ``keep``; the others stay."""
+    held = turns.withColumn("_n", F.count("*").over(Window.partitionBy(group))).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order))))
+    return held.where((F.col("_n") <= most) | (F.col("_at") <= keep)).drop("_n", "_at")
+
+
 def prompts(turns: DataFrame, system: str) -> DataFrame:
     """One row for each conversation: its messages in order behind the system prompt."""
     first = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))

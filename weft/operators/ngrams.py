@@ -35,7 +35,8 @@ def compounds(docs: DataFrame, min_count: int = 10, threshold: float = 0.0) -> D
     All three probabilities are over the number of pairs, as the gluer defines them.
     """
     ones, twos = unigrams(docs), bigrams(docs)
-    total = twos.agg(F.sum("n")).first()[0] or 0
+    # the number of pairs follows from the lengths, without counting pairs a second time
+    total = docs.agg(F.sum(F.greatest(F.size(words(F.col("text"))) - 1, F.lit(0)))).first()[0] or 0
     often = twos.where(F.col("n") >= min_count)
     a, b = (ones.select(F.col("word").alias(x), F.col("n").alias(f"n_{x}")) for x in ("left", "right"))
     pmi = F.log2(F.col("n").cast("double") * total / (F.col("n_left").cast("double") * F.col("n_right")))

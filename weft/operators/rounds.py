@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """Goes on from files in the session's checkpoint folder; a folder is set here only if the session has none."""
-    context = df.sparkSession.sparkContext
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder where it has none: the one that spark.checkpoint.dir names.
+
+    Without that setting a local session gets a folder on its own machine; a cluster is
+    refused, for its executors share no such folder.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/weft-checkpoints")
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/weft-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the frame once, as a table in the shared checkpoint folder, and goes on from it. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -29,6 +29,13 @@ def clear(store: DataFrame) -> DataFrame:
     return store.where(F.lit(False))
 
 
+def zipped(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of two tables that have the same place in their orders, as far as the shorter goes; adds ``position``, from 0."""
+    from weft.sources.shards import positions
+
+    return positions(left, left_order).join(positions(right, right_order), "position")
+
+
 def search(store: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows of the store nearest to each query (query_id, query), best first; ties by key.
 

@@ -105,6 +105,20 @@ def learned_after_changes(spark, sf_dir):
     return C.modify(left, "search", "twitter", "https://x.org?q={query}").select("command_type", "platform", "url_template")
 
 
+@query("delete_reports", f"SELECT * FROM (SELECT 'spotify' AS platform, count(*) > 0 AS matched FROM {_LEARNED} WHERE command_type = 'play' AND platform = 'spotify' UNION ALL SELECT 'google', count(*) > 0 FROM {_LEARNED} WHERE command_type = 'play' AND platform = 'google')")
+def delete_reports(spark, sf_dir):
+    """Whether a delete finds a row: one that is there, one that isn't."""
+    learned = C.create(spark, "learned_commands")
+    one, other = (C.matched(learned, "play", name).select(F.lit(name).alias("platform"), "matched") for name in ("spotify", "google"))
+    return one.union(other)
+
+
+@query("contacts_in", "SELECT c_custkey, c_name FROM customer WHERE c_name IN ('Customer#000000007')")
+def contacts_in(spark, sf_dir):
+    """A lookup by a list of one name."""
+    return C.any_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", ["Customer#000000007"])
+
+
 @query("csv_import_anti", "WITH p AS (SELECT p_brand || ' ' || p_type AS command_text, p_partkey, p_size FROM part) SELECT command_text, min(p_partkey) AS p_partkey FROM p WHERE command_text NOT IN (SELECT command_text FROM p WHERE p_size <= 10) GROUP BY command_text")
 def csv_import_anti(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("command_text"), "p_partkey", "p_size")

@@ -30,6 +30,23 @@ def prompt_messages(spark, sf_dir):
     return made.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "\n").alias("prompt"))
 
 
+@query("history_trimmed", "SELECT user_id, event_id FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events) WHERE n <= 50 OR place <= 30")
+def history_trimmed(spark, sf_dir):
+    return V.trimmed(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@query(
+    "prompt_within_budget",
+    f"""SELECT conv_id, 'system:Be brief.' || chr(10) || array_to_string(list(role || ':' || text ORDER BY turn), chr(10)) AS prompt FROM
+    (SELECT *, sum({_TOK}) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS so_far FROM conversations) WHERE so_far + 60 <= 200 GROUP BY conv_id""",
+)
+def prompt_within_budget(spark, sf_dir):
+    """Messages of the turns that fit, behind the system prompt."""
+    held = V.within_budget(table(spark, sf_dir, "conversations"), V.rough_tokens(F.col("text")), 40, 20, 200)
+    made = V.prompts(held, "Be brief.")
+    return made.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "\n").alias("prompt"))
+
+
 @query("next_token_pairs", f"SELECT conv_id, turn, array_to_string(w[1:len(w) - 1], ' ') AS inputs, array_to_string(w[2:len(w)], ' ') AS targets FROM (SELECT conv_id, turn, {WORDS_SQL} AS w FROM conversations) WHERE len(w) > 1")
 def next_token_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", N.words(F.col("text")).alias("ids"))

@@ -50,19 +50,38 @@ def user_sessions(spark, sf_dir):
     return made.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query(
-    "consecutive_confirm",
-    """WITH r AS (SELECT user_id, ts, epoch_us(ts) / 1e6 AS s, CAST(value < 45 AS INTEGER) AS hit FROM events),
-    b AS (SELECT * FROM (SELECT *, min(s) OVER (PARTITION BY user_id) AS beg FROM r) WHERE s - beg <= 864000),
+def _confirm_sql(below: int, hits: int, gap: int, end: int) -> str:
+    return f"""WITH r AS (SELECT user_id, ts, epoch_us(ts) / 1e6 AS s, CAST(value < {below} AS INTEGER) AS hit FROM events),
+    b AS (SELECT * FROM (SELECT *, min(s) OVER (PARTITION BY user_id) AS beg FROM r) WHERE s - beg <= {end}),
     l AS (SELECT *, last_value(CASE WHEN hit = 1 THEN s END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
-    n AS (SELECT *, sum(CASE WHEN hit = 0 OR coalesce(s - prev, 0) > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l),
+    n AS (SELECT *, sum(CASE WHEN hit = 0 OR coalesce(s - prev, 0) > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM l),
     c AS (SELECT *, sum(hit) OVER (PARTITION BY user_id, run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n)
-    SELECT user_id, epoch_us(min(ts)) AS confirmed_us FROM c WHERE k >= 3 AND hit = 1 GROUP BY user_id""",
-)
+    SELECT user_id, epoch_us(min(ts)) AS confirmed_us FROM c WHERE k >= {hits} AND hit = 1 GROUP BY user_id"""
+
+
+def _confirmed(spark, sf_dir, below, hits, gap, end):
+    made = S.confirmed(table(spark, sf_dir, "events"), "user_id", "ts", F.col("value") < below, hits, gap, end)
+    return made.select("user_id", F.unix_micros(F.col("confirmed_at").cast("timestamp")).alias("confirmed_us"))
+
+
+@query("consecutive_confirm", _confirm_sql(45, 3, 86_400, 864_000))
 def consecutive_confirm(spark, sf_dir):
     """Three values under 45 in a row, at most a day apart, within ten days of the first event."""
-    made = S.confirmed(table(spark, sf_dir, "events"), "user_id", "ts", F.col("value") < 45, 3, 86_400, 864_000)
-    return made.select("user_id", F.unix_micros(F.col("confirmed_at").cast("timestamp")).alias("confirmed_us"))
+    return _confirmed(spark, sf_dir, 45, 3, 86_400, 864_000)
+
+
+@query("second_look_confirm", _confirm_sql(55, 2, 43_200, 2_592_000))
+def second_look_confirm(spark, sf_dir):
+    """A second value under 55 at most half a day after the first."""
+    return _confirmed(spark, sf_dir, 55, 2, 43_200, 2_592_000)
+
+
+@query("counts_listing", "SELECT event_type, user_id, n, CAST(row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS INTEGER) AS place FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)")
+def counts_listing(spark, sf_dir):
+    """Counters by type, the largest first: the order of a listing."""
+    rows = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))
+    return rows.withColumn("place", place).orderBy("event_type", F.desc("n"), "user_id")
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, count(DISTINCT json_keys(CAST(props AS JSON))[1]) AS first_keys FROM events GROUP BY event_type")

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import function_name
 
 
 def commands(spark: SparkSession, path: str) -> DataFrame:
-    """Commands of one CSV file or a folder of them: rows that have both columns, in the order of files and lines."""
+    """Commands of one CSV file or a folder of them: rows that have both columns, with their file and line: in the order of both they come as they are written."""
     rows = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
     names = {c.strip(): c for c in rows.columns}
     if not {"Task/Intent", "command"} <= names.keys():
         return spark.createDataFrame([], "task_intent string, command_text string, function_name string, file string, line long")
     intent, command = F.col(f"`{names['Task/Intent']}`"), F.col(f"`{names['command']}`")
-    picked = rows.select(intent.alias("task_intent"), command.alias("command_text"), function_name(intent).alias("function_name"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    # a file's parts may be read in any order; within a part, rows come as they are written
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_part", "_at")).cast("long")
+    picked = rows.select(intent.alias("task_intent"), command.alias("command_text"), function_name(intent).alias("function_name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    picked = picked.withColumn("line", place).drop("_part", "_at")
     return picked.where("task_intent IS NOT NULL AND command_text IS NOT NULL")
 
 

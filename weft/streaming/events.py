@@ -17,9 +17,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from weft.operators import minhash as M
 
 
-def deduplicating(index_path: str, output_path: str, key: str = "doc_id", text: str = "text") -> Callable[[DataFrame, int], None]:
+def deduplicating(index_path: str, output_path: str, key: str = "doc_id", text: str = "text", ttl: str = M.TTL) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps a batch's texts that share no bucket with kept ones of this or earlier batches.
 
+    A bucket is forgotten when nothing was inserted into it for the time to live.
+
     Both tables are partitioned by batch and a batch overwrites its own part, so that a
     batch that is run again changes nothing.
     """
@@ -30,7 +32,7 @@ def deduplicating(index_path: str, output_path: str, key: str = "doc_id", text:
         banded = M.bands(signed, [key], "_sig")
         try:
             index = spark.read.parquet(index_path).where(F.col("batch") < number)
-            known = M.seen(banded, index, key)
+            known = M.seen(banded, M.live(index, F.current_timestamp(), ttl), key)
             banded = banded.join(known, key, "left_anti")
         except Exception as e:  # the first batch finds no index
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
