@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.rounds import checkpoint_folder
+
 #: Rows of an Arrow batch: texts of 100 kB each then still take tens of MB only.
 BATCH_ROWS = 512
 
@@ -32,10 +34,8 @@ def per_batch(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the session names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "/tmp/weft-checkpoints")
+    """Sets a checkpoint folder only where the session names none; a cluster must name one."""
+    checkpoint_folder(spark)
 
 
 #: Files of a table that is cut, for each core of the cluster.
