@@ -6,8 +6,8 @@ document, some ``PIECES_PER_TASK`` to a task, whatever the size of the corpus, a
 task packs its own online with bounded-space best-fit: pieces are placed as they come, in
 the order of a hash; at most ``OPEN_BINS`` sequences are open, a bitset of free spaces
 finds the tightest one that holds a piece, and when there are too many, the fullest
-closes. A task holds its open sequences and one batch of pieces. On lengths like those of
-``check_s`` (16,384 pieces a task) this makes 0.6 % more sequences than the tokens fill,
+closes. A task holds its open sequences and one batch of pieces. On lengths estimated from
+the characters of ``check_s`` (16,384 pieces a task) this makes 0.6 % more sequences than the tokens fill,
 with 64 open ones as with 8,192.
 
 Cases: null and empty texts are one end token; repeated rows are packed each for
