@@ -11,6 +11,12 @@ linked to lines side by side are one range. Ranges and the lines that they are l
 are compared byte by byte, and then taken out of their documents. An occurrence that
 overlaps the first one in the same document only loses the lines beyond it.
 
+These windows stand in for chunks between boundaries that a rolling hash chooses: such a
+chunk reaches over the ends of a passage wherever no boundary falls there, and is then no
+longer equal to the others. Found that way, with boundaries by the hash of the last one to
+three line hashes, were 47 to 66 % of the lines found by windows (10,000 documents of the
+test tables), and 71 to 83 % with chunks grown over the lines beside them.
+
 Shorter repeated lines stay, as do passages within a line. Only hashes and positions are
 shuffled by line or window; counts are summed in each task first, and texts move by
 document.
