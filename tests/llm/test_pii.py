@@ -68,6 +68,69 @@ def test_added_spans_in_new_sentences():
     assert ("person", 4, 15) in spans and any(k == "contact" and text[s:e].startswith("555") for k, s, e in spans)
 
 
+HELD_OUT = """
+Mr. [Victor Hale|person] owns the mill
+Yesterday Mrs. [Irene Falk|person] sold her car
+I spoke with Dr. [Samir Haddad|person] about it.
+Ms [Yuki Tanaka|person] will chair the meeting
+Prof. [Lena Fischer|person] wrote the chapter
+Miss [Porter|person] was late again
+Name: [Dmitri Volkov|person]
+Nom: [Camille Laurent|person]
+Surname: [Eriksen|person]
+Heute kommt Herr [Uwe Brandt|person] nicht
+Frau [Petra Lang|person] hat angerufen
+Monsieur [Alain Leroy|person] habite ici
+Hier Madame [Moreau|person] est partie
+Señora [Ana Delgado|person] trabaja en casa
+Dear [Robert|person], we have your letter
+Querida [Elena|person], un abrazo
+Please tell Mr. [Grant Ellis|person] and Ms. [Rosa Lima|person] to come
+call us at [555-0188|contact] tomorrow
+Phone: [0131 496 0777|contact]
+tel: [(089) 554433|contact]
+Fax: [030 776655|contact]
+You can call [555-0121|contact] for a table
+mobile: [0176 5551234|contact]
+Tel. [04 56 78 90 12|contact]
+Contact Mr. [Neil Shaw|person] at [555-0166|contact]
+The North Sea and the Black Forest are far apart
+Queen Street runs to Victoria Station
+Der Rhein und die Donau sind lang
+La Torre Eiffel est en Paris
+El Museo del Prado está en Madrid
+Call of Duty and Name of the Wind are titles
+They were on page 555 at line 1200
+In 1914 and 1939 war broke out
+The phone cost 300 and the fax 120
+Room 204 at 1500 on Friday
+The call came on 12 March 2004
+We write in English and French
+Dr and Mr are titles
+my dear the train is late
+Frau und Mann gingen nach Hause
+"""
+
+
+def test_spans_of_sentences_that_were_not_learned():
+    """Precision and recall over whole spans of sentences and names that the table does not hold."""
+    right = found = wanted = 0
+    for line in HELD_OUT.strip().split("\n"):
+        text, want, at = "", set(), 0
+        for m in re.finditer(r"\[([^|\]]*)\|([a-z]+)\]", line):
+            text += line[at : m.start()]
+            want.add((m[2], len(text), len(text) + len(m[1])))
+            text, at = text + m[1], m.end()
+        text += line[at:]
+        assert line not in pii.LABELLED
+        got = set(pii.added_spans([text], [pii.base_spans(text)], pii.trained())[0])
+        right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
+        if got != want:
+            print(text, "wanted", want, "got", got)
+    print("precision", right / found, "recall", right / wanted, "of", wanted)
+    assert right / found >= 0.85 and right / wanted >= 0.85
+
+
 def test_query_columns(spark, odd_rows):
     rows = [*odd_rows, (20, "mail a.b@c.de or +49 (30) 901820 at 10.0.0.1 \U0001f600 x@y.z", "en", "a")]
     found = pii.personal_data(frame(spark, rows)).withColumn("spans", pii.span_text()).collect()
